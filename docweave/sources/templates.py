@@ -17,6 +17,7 @@ from typing import Any
 from xml.etree import ElementTree as ET
 
 from docweave.model import FillError, normalize_name
+from docweave.operators.bulletin import GENERIC
 from docweave.operators.constraints import detect_target_city
 from docweave.sources.parsers import _local, column_number, docx_elements, sheets
 
@@ -24,7 +25,6 @@ from docweave.sources.parsers import _local, column_number, docx_elements, sheet
 BRACES = re.compile(r"\{\{\s*([^{}]+?)\s*\}\}")
 BRACKETS = re.compile(r"【([^【】]+?)】")
 BLANK = re.compile(r"_{2,}|\[\s*\]|（\s*）|（_{2,}）")
-GENERIC = {"填写", "合计填写", "合计", "合计变化"}
 
 
 @dataclass
