@@ -13,7 +13,10 @@ import sys
 import time
 from pathlib import Path
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+HERE = str(Path(__file__).resolve().parent)
+sys.path.insert(0, HERE)
+# The Python workers import the package too, wherever this is called from.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH")]))
 
 NAMES = ["chunk_fixed_window", "keyword_score_topk", "vector_topk", "hybrid_search", "regex_candidates", "field_fusion", "record_fusion_keyed", "post_compute", "evidence_budget", "carry_forward", "row_constraint_filter", "dedupe_docs"]
 
