@@ -120,7 +120,7 @@ def test_few_pairs_take_no_rounds_and_many_have_the_same_result(spark, monkeypat
     assert sorted(map(tuple, found)) == sorted(want) and (len(written) == 2) == (at_once == 512)
 
 
-def test_patterns_are_read_once_for_each_blank_not_for_each_pair():
+def test_patterns_are_read_once_for_each_blank_not_for_each_pair(spark):
     assert "regexp" not in str(assign.blank_score(F.col("around"), F.col("key"), F.col("name"))).lower()
 
 
